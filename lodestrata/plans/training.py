@@ -42,21 +42,21 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_variants, p3_found, p4_found, p4_counts, p6_found, p6_counts)}
 
-_ORDER = """snap AS (SELECT slug, patchline, row_number() OVER (PARTITION BY patchline ORDER BY version_date, build_number, slug) AS at FROM version_meta)"""
+_ORDER = """snap AS (SELECT slug, patchline, row_number() OVER (PARTITION BY patchline ORDER BY version_date, build_number, slug) AS place FROM version_meta)"""
 _PATH = r"nullif(regexp_replace(replace(file_path, '\', '/'), '^(?:\./)+', ''), '')"
 _HASH = "nullif(lower(file_hash), '')"
 
 _REFS = f"""{_ORDER},
 refs AS (SELECT id AS edge_id, slug, 'source' AS ref_side, source_id AS ref FROM edges UNION ALL SELECT id, slug, 'target', target_id FROM edges),
-real_refs AS (SELECT r.*, s.patchline, s.at FROM refs r JOIN snap s USING (slug) WHERE ref IS NOT NULL AND ref <> '' AND NOT starts_with(ref, 'virtual:')),
-have AS (SELECT DISTINCT n.id, s.patchline, s.at FROM nodes n JOIN snap s USING (slug) WHERE n.id IS NOT NULL),
-span AS (SELECT id, patchline, min(at) AS first_at, max(at) AS last_at FROM have GROUP BY ALL),
-orphan AS (SELECT r.*, CASE WHEN first_at < r.at THEN 'deleted' WHEN last_at > r.at THEN 'later' ELSE 'missing' END AS orphan_kind
+real_refs AS (SELECT r.*, s.patchline, s.place FROM refs r JOIN snap s USING (slug) WHERE ref IS NOT NULL AND ref <> '' AND NOT starts_with(ref, 'virtual:')),
+have AS (SELECT DISTINCT n.id, s.patchline, s.place FROM nodes n JOIN snap s USING (slug) WHERE n.id IS NOT NULL),
+span AS (SELECT id, patchline, min(place) AS first_at, max(place) AS last_at FROM have GROUP BY ALL),
+orphan AS (SELECT r.*, CASE WHEN first_at < r.place THEN 'deleted' WHEN last_at > r.place THEN 'later' ELSE 'missing' END AS orphan_kind
   FROM real_refs r LEFT JOIN span p ON p.id = r.ref AND p.patchline = r.patchline
-  WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.id = r.ref AND h.patchline = r.patchline AND h.at = r.at))"""
+  WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.id = r.ref AND h.patchline = r.patchline AND h.place = r.place))"""
 
 _CHANGES = f"""{_ORDER},
-pairs AS (SELECT a.slug AS slug_from, b.slug AS slug_to FROM snap a JOIN snap b ON a.patchline = b.patchline AND a.at + 1 = b.at),
+pairs AS (SELECT a.slug AS slug_from, b.slug AS slug_to FROM snap a JOIN snap b ON a.patchline = b.patchline AND a.place + 1 = b.place),
 state AS (
   SELECT DISTINCT 'nodes' AS table_name, slug, id AS record_key, coalesce('v' || content, 'n') AS v FROM nodes WHERE id IS NOT NULL
   UNION ALL
@@ -72,7 +72,7 @@ SQL: dict[str, str] = {
     "p3_found": f"""
 WITH good AS (SELECT DISTINCT run_id, patchline, corpus_type, through_batch FROM index_runs WHERE lower(run_status) = 'success'),
 runs AS (SELECT *, lag(through_batch) OVER (PARTITION BY patchline, corpus_type ORDER BY run_id) AS from_batch FROM good),
-ledger AS (SELECT v.patchline, f.corpus_type, {_PATH} AS path, {_HASH} AS hash, indexed_at, batch_id FROM file_hashes f JOIN version_meta v USING (slug)),
+ledger AS (SELECT v.patchline, f.corpus_type, {_PATH} AS path, {_HASH} AS hash, f.indexed_at, batch_id FROM file_hashes f JOIN version_meta v USING (slug)),
 usable AS (SELECT * FROM ledger WHERE path IS NOT NULL AND hash IS NOT NULL),
 now AS (SELECT run_id, path, arg_max(hash, (indexed_at, batch_id)) AS h FROM runs r JOIN usable u ON u.patchline = r.patchline AND u.corpus_type = r.corpus_type AND u.batch_id <= r.through_batch GROUP BY ALL),
 old AS (SELECT run_id, path, arg_max(hash, (indexed_at, batch_id)) AS h FROM runs r JOIN usable u ON u.patchline = r.patchline AND u.corpus_type = r.corpus_type AND u.batch_id <= r.from_batch GROUP BY ALL)
