@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import packing, repetition, splitting, tokens, vptree
+from lodestrata.llm import markup, packing, repetition, splitting, tokens, vptree
 from lodestrata.session import table
 
 
@@ -18,6 +18,14 @@ def p1_topk(spark: SparkSession, d: str) -> DataFrame:
     return vptree.most_similar(rows, vptree.similar_queries(rows))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_markup(table(spark, d, "nodes"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_nodes(table(spark, d, "nodes")).select("slug", "node_id", "field_name", F.concat_ws(",", "kinds").alias("kinds"), "clean_text").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found_split(table(spark, d, "nodes"))
 
@@ -46,7 +54,7 @@ def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_topk, p7_found, p7_pieces, p8_ids, p9_packing, p9_fill, p10_found, p10_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_topk, p5_found, p5_clean, p7_found, p7_pieces, p8_ids, p9_packing, p9_fill, p10_found, p10_repetition)}
 SQL: dict[str, str] = {
     "p7_found": """
 SELECT DISTINCT slug, id AS node_id, CASE WHEN list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > 2000 THEN 'inside_line' ELSE 'line' END AS cut_kind
