@@ -33,11 +33,15 @@ def _reject(name: str):
 
 
 def _strict(text: str):
-    return json.loads(text, parse_int=_Int, parse_constant=_reject)
+    return json.loads(text, parse_int=_integer, parse_constant=_reject)
 
 
 class _Int(str):
-    """An integer literal kept as text, so that its length has no limit."""
+    """An integer literal of thousands of digits, kept as text."""
+
+
+def _integer(digits: str):
+    return int(digits) if len(digits) <= 1000 else _Int(digits)
 
 
 def _relaxed(text: str) -> str:
@@ -95,7 +99,7 @@ class ShapeAutomaton:
             return "null"
         if type(value) is bool:
             return "bool"
-        return "int" if type(value) is _Int else "num" if type(value) is float else "str"
+        return "int" if type(value) in (int, _Int) else "num" if type(value) is float else "str"
 
     def step(self, kind: str, below: tuple) -> str:
         key = (kind, below)
