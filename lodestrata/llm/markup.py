@@ -180,6 +180,8 @@ def measure_density(root: _Node) -> None:
                 node.link_tags += child.link_tags + link
             else:
                 node.chars += len("".join(child.split()))
+        if node.tag == "a":
+            node.link_chars, node.link_tags = node.chars, node.tags + 1
     body_share = root.link_chars / max(root.chars, 1)
     for node in order:
         if node.chars:

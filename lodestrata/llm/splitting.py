@@ -31,7 +31,6 @@ _SENTENCE = re.compile(r"[.!?。！？][\"')\]]*\s+|[。！？]")
 _SPACE = re.compile(r"\s+")
 #: Kinds of boundaries, best first.
 KINDS = ("paragraph", "line", "sentence", "word")
-_NO_START = re.compile(r"[̀-ͯ҃-֑҉-ֽ⃐-⃿︀-️︠-︯‍\U0001F3FB-\U0001F3FF]|\n")
 
 
 def boundaries(text: str, offset: int = 0, start: int = 0, end: int | None = None) -> dict[str, np.ndarray]:
@@ -69,13 +68,14 @@ def choose_cuts(total: int, at: dict[str, np.ndarray], limit: int = LIMIT, overl
     else the latest line's end, else a sentence's or word's end in the further
     half, else any word's end, else a cut at the limit (``hard``). The next
     piece begins up to ``overlap`` characters earlier at the best boundary
-    there, unless that would keep it from reaching beyond the last cut.
+    there, unless that would keep it from reaching the end of a line that it
+    could reach without.
     """
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("0 <= overlap < limit is needed")
-    pieces, start = [], 0
+    pieces, start, end = [], 0, 0
     while total - start > limit:
-        end, kind = _cut(start, start, at, limit)
+        end, kind = _cut(start, end, at, limit)
         pieces.append((start, end, kind))
         start = _resume(start, end, total, at, limit, overlap)
     if total > 0 or not pieces:
@@ -93,26 +93,14 @@ def _cut(start: int, beyond: int, at: dict[str, np.ndarray], limit: int) -> tupl
 
 
 def _resume(start: int, end: int, total: int, at: dict[str, np.ndarray], limit: int, overlap: int) -> int:
+    reaches = lambda place: total <= place + limit or _latest(at["line"], end, place + limit) is not None
     for kind in KINDS if overlap else ():
         back = _earliest(at[kind], max(end - overlap, start + 1), end)
-        if back is None:
-            continue
-        if total - back <= limit or _latest(at["line"], end, back + limit) is not None:
-            return back
-        # without overlap, could the next piece end at a line? then the overlap must not cost that
-        if _latest(at["line"], end, end + limit) is None and kind != "line":
+        if back is not None and (reaches(back) or not reaches(end)):
             return back
     return end
 
 
-def _soft(text: str, place: int, start: int) -> int:
-    """A hard cut moved back, a few characters at most, off a combining sequence."""
-    p = place
-    while p > start + 1 and place - p < HALO and p < len(text) and (_NO_START.match(text, p) or text[p - 1] == "‍"):
-        p -= 1
-    return p
-
-
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """The pieces of one text that is at hand."""
     return choose_cuts(len(text), boundaries(text), limit, overlap)
