@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import training
+from lodestrata.plans import graph_queries, training
 
-MODULES = [training]
+MODULES = [training, graph_queries]
 
 
 def queries() -> dict:
