@@ -275,3 +275,17 @@ def found_records(nodes: DataFrame) -> DataFrame:
     One shuffle, of the links alone; copies of a node collapse before it.
     """
     return array_records(nodes).select("slug", "node_id", "field_name", "child_ptr", "parent_ptr").distinct()
+
+
+def leaves_of(root: dict) -> list[tuple[str, str]]:
+    """(dotted path, JSON text) of each leaf; empty objects and arrays are leaves."""
+    out, stack = [], [("", root)]
+    while stack:
+        path, value = stack.pop()
+        if type(value) is dict and value:
+            stack.extend((f"{path}.{k}" if path else k, v) for k, v in reversed(value.items()))
+        elif type(value) is list and value:
+            stack.extend((f"{path}.{n}" if path else str(n), v) for n, v in reversed(list(enumerate(value))))
+        elif path:
+            out.append((path, str(value) if type(value) is _Int else _clean(json.dumps(value, ensure_ascii=False))))
+    return out

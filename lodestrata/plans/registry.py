@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import graph_queries, text_queries, training
+from lodestrata.plans import catalog_queries, graph_queries, text_queries, training
 
-MODULES = [training, graph_queries, text_queries]
+MODULES = [training, graph_queries, text_queries, catalog_queries]
 
 
 def queries() -> dict:
