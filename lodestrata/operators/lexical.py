@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import query_terms, split_identifiers, tokens
-from lodestrata.session import cut, plan_bytes
+from lodestrata.session import plan_bytes
 
 K1, B = 1.2, 0.75
 BROADCAST_BYTES = 16 << 20
@@ -25,15 +25,24 @@ def index_rows(nodes: DataFrame) -> DataFrame:
 
 def build_index(nodes: DataFrame) -> DataFrame:
     """(slug, node_id, corpus, name_tokens, body_tokens, dl); copies of a node count once."""
-    rows = index_rows(nodes).dropDuplicates(["slug", "node_id"])
+    rows = index_rows(nodes.filter("id is not null").select("slug", "id", "corpus", "display_name", "content").dropDuplicates(["slug", "id"]))
     made = rows.select("slug", "node_id", "corpus", tokens(F.col("name")).alias("name_tokens"), tokens(F.col("body")).alias("body_tokens"))
     return made.withColumn("dl", F.size("name_tokens") + F.size("body_tokens"))
 
 
+def _long(index: DataFrame) -> DataFrame:
+    """(slug, node_id, corpus, dl, term, in_name), a row for each token."""
+    of = lambda column, flag: index.select("slug", "node_id", "corpus", "dl", F.explode(column).alias("term"), F.lit(flag).alias("in_name"))
+    return of("name_tokens", 1).unionAll(of("body_tokens", 0))
+
+
+def _count(long: DataFrame) -> DataFrame:
+    return long.groupBy("slug", "term", "node_id", "corpus", "dl").agg(F.sum("in_name").alias("tf_name"), F.sum(1 - F.col("in_name")).alias("tf_body"))
+
+
 def postings(index: DataFrame) -> DataFrame:
-    """(slug, term, node_id, corpus, tf_name, tf_body, dl): the inverted index, to be written partitioned by slug and reused."""
-    both = F.explode(F.concat(F.transform("name_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("in_name"))), F.transform("body_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("in_name"))))).alias("x")
-    return index.select("slug", "node_id", "corpus", "dl", both).groupBy("slug", "x.term", "node_id", "corpus", "dl").agg(F.sum("x.in_name").alias("tf_name"), F.sum(1 - F.col("x.in_name")).alias("tf_body"))
+    """(slug, term, node_id, corpus, dl, tf_name, tf_body): the inverted index, to be written partitioned by slug and reused."""
+    return _count(_long(index))
 
 
 def bm25(index: DataFrame, queries: DataFrame, corpus: str | None = None, limit: int = 100, name_weight: float = 10.0, body_weight: float = 1.0, round_to: int | None = None) -> DataFrame:
@@ -49,7 +58,7 @@ def bm25(index: DataFrame, queries: DataFrame, corpus: str | None = None, limit:
     wanted = asked.select("term").distinct()
     wanted = F.broadcast(wanted) if plan_bytes(queries) <= BROADCAST_BYTES else wanted
     stats = index.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings(index.select("slug", "node_id", "corpus", "dl", "name_tokens", "body_tokens")) if plan_bytes(queries) > BROADCAST_BYTES else _counted(index, wanted)
+    found = _count(_long(index).join(wanted, "term"))
     df = found.groupBy("slug", "term").agg(F.count(F.lit(1)).alias("n_t"))
     scored = found.join(asked, "term").join(df, ["slug", "term"]).join(stats, "slug")
     ratio = F.log((F.col("n") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
@@ -62,13 +71,6 @@ def bm25(index: DataFrame, queries: DataFrame, corpus: str | None = None, limit:
     return total.withColumn("score", score).withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < limit)
 
 
-def _counted(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``postings`` of the wanted terms alone; the others don't leave their task."""
-    both = F.explode(F.concat(F.transform("name_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("in_name"))), F.transform("body_tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("in_name"))))).alias("x")
-    long = index.select("slug", "node_id", "corpus", "dl", both).select("slug", "node_id", "corpus", "dl", "x.term", "x.in_name").join(wanted, "term")
-    return long.groupBy("slug", "term", "node_id", "corpus", "dl").agg(F.sum("in_name").alias("tf_name"), F.sum(1 - F.col("in_name")).alias("tf_body"))
-
-
 def match_all(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(slug, query_id, node_id): nodes that have all of a query's terms, in name or body."""
     asked = queries.select("query_id", F.array_distinct(F.transform(query_terms(F.col("query")), F.lower)).alias("terms")).filter(F.size("terms") > 0)
@@ -98,4 +100,4 @@ def search_lines(nodes: DataFrame, pattern: str, regex: bool = False, per_node:
 
 def write_index(nodes: DataFrame, path: str) -> None:
     """The postings of each snapshot, replaced as a whole, also where a corpus has become empty."""
-    postings(cut(build_index(nodes))).write.mode("overwrite").partitionBy("slug").parquet(path)
+    postings(build_index(nodes)).write.mode("overwrite").partitionBy("slug").parquet(path)

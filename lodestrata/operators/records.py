@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import spread
+
 LINKS = ("field_name", "child_ptr", "parent_ptr", "path", "variant", "record")
 _QUOTED_OR_COMMENT = re.compile(r'"(?:[^"\\]|\\.)*"|//[^\r\n]*|/\*.*?\*/', re.S)
 _QUOTED_OR_COMMA = re.compile(r'"(?:[^"\\]|\\.)*"|,(?=[ \t\r\n]*[}\]])', re.S)
@@ -204,7 +206,7 @@ def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], w
             if rows:
                 yield _batch(rows, target)
 
-    return slim.mapInArrow(walk, schema)
+    return spread(slim).mapInArrow(walk, schema)
 
 
 def _clean(text: str | None) -> str | None:

@@ -9,7 +9,7 @@ from lodestrata.operators import catalog as C
 from lodestrata.operators import diffing as D
 from lodestrata.operators import evaluation as E
 from lodestrata.operators.lexical import bm25, build_index
-from lodestrata.session import table
+from lodestrata.session import staged, table
 
 
 def latest_versions(spark, d):
@@ -128,7 +128,7 @@ def retrieval_metrics(spark, d):
     slug = C.latest_versions(table(spark, d, "version_meta")).filter("patchline = 'release'").select("slug")
     mine = nodes.join(F.broadcast(slug), "slug", "left_semi")
     asked = mine.filter("node_type = 'JavaClass'").select(F.col("id").alias("query_id"), F.col("display_name").alias("query"), F.col("id").alias("expected")).filter("query is not null").dropDuplicates(["query_id"])
-    found = bm25(build_index(mine), asked.select("query_id", "query"), limit=10)
+    found = bm25(staged(build_index(mine)), asked.select("query_id", "query"), limit=10)
     return E.mean_metrics(E.query_metrics(asked.select("query_id", "expected"), found.select("query_id", "rank", "node_id")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
 from lodestrata.operators import lexical, ranking
-from lodestrata.session import table
+from lodestrata.session import staged, table
 
 #: The fixed query set of the search queries.
 SEARCHES = [("s1", "inventory slot command"), ("s2", "how to register a harbour"), ("s3", "copper torch copper"), ("s4", "ScoutSnapshotTracker dropHarbour"), ("s5", "guard gate 42")]
@@ -91,7 +91,7 @@ def search_by_name(spark, d):
 
 
 def bm25_topk(spark, d):
-    return lexical.bm25(lexical.build_index(table(spark, d, "nodes")), _searches(spark), limit=10, round_to=6)
+    return lexical.bm25(staged(lexical.build_index(table(spark, d, "nodes"))), _searches(spark), limit=10, round_to=6)
 
 
 def fts_and_candidates(spark, d):
@@ -108,7 +108,7 @@ def text_grep_regex(spark, d):
 
 def _lists(spark, d) -> DataFrame:
     """Two ranked lists a query: by weight of words and by name."""
-    index = lexical.build_index(table(spark, d, "nodes"))
+    index = staged(lexical.build_index(table(spark, d, "nodes")))
     first = lexical.bm25(index, _searches(spark), limit=20, round_to=6).select("slug", "query_id", F.lit(0).alias("list_no"), "rank", "node_id")
     second = lexical.bm25(index, _searches(spark), limit=20, name_weight=0.0, round_to=6).select("slug", "query_id", F.lit(1).alias("list_no"), "rank", "node_id")
     return first.unionByName(second)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.driver.memory": "12g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -56,6 +59,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED: list[str] = []
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, for wide intermediate results that are read more than once.
+
+    Reads of it prune columns. The table goes when the session's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STAGED:
+        atexit.register(_drop_staged, spark)
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_staged(spark: SparkSession) -> None:
+    for path in _STAGED:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            return
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``, in bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+#: Input of less than so many bytes a core may lie in fewer files than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, on all cores even if its few bytes lie in fewer files.
+
+    For steps that cost much more than moving their rows. Input that is large
+    enough to fill the cores by its splits is left as it is, and so is what has
+    been shuffled before.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes()) >= cores * SPREAD_BYTES:
+        return df
+    names = [line.strip(" +-:!'").split(" ")[0] for line in plan.toString().splitlines() if line.strip()]
+    if not all(n in ("Project", "Filter") or n.startswith("Relation") for n in names):
+        return df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
