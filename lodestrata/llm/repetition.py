@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.session import cut
+from lodestrata.session import cut, spread
 
 #: Words of a phrase, and the share of repeated words from which a text is repetitive.
 PHRASE, SHARE = 8, 0.4
@@ -90,7 +90,7 @@ def measures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 columns = list(zip(*(measure(t) for t in batch.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], [key, "n_words", *MEASURES])
 
-    return slim.mapInArrow(walk, schema)
+    return spread(slim).mapInArrow(walk, schema)
 
 
 def rules() -> dict[str, Column]:

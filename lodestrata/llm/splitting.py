@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import spread
+
 #: Characters of a piece and of the overlap of two pieces, at most.
 LIMIT, OVERLAP = 2000, 200
 #: Characters (bytes for files) of a range.
@@ -142,7 +144,7 @@ def split_items(items: DataFrame, keys: list[str], text: str, limit: int = LIMIT
                 columns = [batch.column(k).take(index) for k in range(width)] + [pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind, pa.string())] + ([pa.array(texts, pa.string())] if with_text else [])
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    short = slim.filter(F.length("piece") <= range_chars).mapInArrow(whole, schema)
+    short = spread(slim.filter(F.length("piece") <= range_chars)).mapInArrow(whole, schema)
 
     long = slim.filter(F.length("piece") > range_chars).withColumn("__row", F.monotonically_increasing_id()).withColumn("__total", F.length("piece"))
     step = F.explode(F.sequence(F.lit(0), F.col("__total") - 1, F.lit(range_chars))).alias("__offset")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import spread
+
 #: The vocabulary's file; a parameter, never part of this package.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text into words before BPE.
@@ -210,7 +212,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
             for k in range(0, len(texts), 1000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1000), _ids_array([None if t is None else enc.encode_ordinary(t) for t in texts[k : k + 1000]])], ["key", "ids"])
 
-    done = short.mapInArrow(whole, counted if counts_only else out)
+    done = spread(short).mapInArrow(whole, counted if counts_only else out)
 
     total = F.length("text")
     offsets = F.explode(F.sequence(F.lit(0), total - 1, F.lit(segment))).alias("offset")
