@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import catalog_queries, graph_queries, text_queries, training
+from lodestrata.plans import catalog_queries, graph_queries, source_queries, text_queries, training
 
-MODULES = [training, graph_queries, text_queries, catalog_queries]
+MODULES = [training, graph_queries, text_queries, catalog_queries, source_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p4_counts"](spark, d)
+    return queries()["hybrid_search"](spark, d)

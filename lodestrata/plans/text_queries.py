@@ -203,8 +203,8 @@ post AS (SELECT slug, node_id, term, len(nt) + len(bt) AS dl, len(list_filter(nt
 df AS (SELECT slug, term, count(*) AS n_t FROM post GROUP BY ALL)"""
 
 
-def _bm25(name_weight: float, limit: int, name: str) -> str:
-    f = f"({name_weight} * tn + 1.0 * tb)"
+def _bm25(name_weight: float, limit: int, name: str, body_weight: float = 1.0) -> str:
+    f = f"({name_weight} * tn + {body_weight} * tb)"
     return f"""{name}_s AS (SELECT p.slug, query_id, node_id, round(sum(times * CASE WHEN ln((n - n_t + 0.5) / (n_t + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n_t + 0.5) / (n_t + 0.5)) END * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM post p JOIN asked USING (term) JOIN df ON df.slug = p.slug AND df.term = p.term JOIN stats s ON s.slug = p.slug GROUP BY ALL),
 {name} AS (SELECT *, row_number() OVER (PARTITION BY slug, query_id ORDER BY score DESC, node_id) - 1 AS rank FROM {name}_s QUALIFY rank < {limit})"""
