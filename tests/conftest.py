@@ -10,7 +10,7 @@ from lodestrata.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("local[4]", 4)
+    s = session("local[4]", 2)
     s.sparkContext.setLogLevel("ERROR")
     return s
 
