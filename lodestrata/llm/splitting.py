@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.llm.ranges import slices, text_hash
 from lodestrata.session import spread
 
 #: Characters of a piece and of the overlap of two pieces, at most.
@@ -122,7 +123,7 @@ def split_items(items: DataFrame, keys: list[str], text: str, limit: int = LIMIT
     twice give their pieces twice; other columns aren't read. Keys must not be
     named as a result column (ValueError).
     """
-    out = ["piece_no", "char_start", "char_end", "cut_kind", "piece", "__row", "__part", "__offset", "__total"]
+    out = ["piece_no", "char_start", "char_end", "cut_kind", "piece", "text_hash", "starts", "ends", "kinds"]
     if clash := set(keys) & set(out):
         raise ValueError(f"key columns clash with result columns: {sorted(clash)}")
     slim = items.select(*keys, F.col(text).alias("piece")).filter(F.length("piece") > limit)
@@ -146,29 +147,35 @@ def split_items(items: DataFrame, keys: list[str], text: str, limit: int = LIMIT
 
     short = spread(slim.filter(F.length("piece") <= range_chars)).mapInArrow(whole, schema)
 
-    long = slim.filter(F.length("piece") > range_chars).withColumn("__row", F.monotonically_increasing_id()).withColumn("__total", F.length("piece"))
-    step = F.explode(F.sequence(F.lit(0), F.col("__total") - 1, F.lit(range_chars))).alias("__offset")
-    ranges = long.select("__row", "__total", "piece", step).select("__row", "__total", "__offset", F.substring("piece", F.greatest(F.lit(1), F.col("__offset") + 1 - HALO), F.lit(range_chars + 2 * HALO)).alias("__part")).repartition("__row", "__offset")
-    table = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__total", T.IntegerType()), T.StructField("__offset", T.IntegerType()), *(T.StructField(k, T.ArrayType(T.LongType())) for k in KINDS)])
+    long = slim.filter(F.length("piece") > range_chars).withColumn("text_hash", text_hash("piece"))
+    ranges = slices(long.select("text_hash", F.col("piece").alias("text")), range_chars, HALO, HALO)
+    table = T.StructType([T.StructField("text_hash", T.StringType()), T.StructField("total", T.IntegerType()), T.StructField("offset", T.IntegerType()), *(T.StructField(k, T.ArrayType(T.LongType())) for k in KINDS)])
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                offset, part = one.column(2)[0].as_py(), one.column(3)[0].as_py()
+            for name, total, offset, part in zip(*(c.to_pylist() for c in batch.columns)):
                 lead = min(HALO, offset)
                 found = boundaries(part, offset - lead, lead, lead + range_chars)
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), *(pa.array([found[k]], pa.list_(pa.int64())) for k in KINDS)], [f.name for f in table])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total], pa.int32()), pa.array([offset], pa.int32()), *(pa.array([found[k]], pa.list_(pa.int64())) for k in KINDS)], [f.name for f in table])
 
     def stitch(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["__offset"].to_numpy())
-        at = {k: np.unique(np.concatenate([np.asarray(t[k][int(i)].as_py(), dtype=np.int64) for i in order])) for k in KINDS}
-        pieces = choose_cuts(t["__total"][0].as_py(), at, limit, overlap)
-        no, a, b, kind = range(len(pieces)), *zip(*pieces)
-        return pa.table({"__row": pa.array([t["__row"][0].as_py()] * len(pieces), pa.int64()), "piece_no": pa.array(list(no), pa.int32()), "char_start": pa.array(a, pa.int64()), "char_end": pa.array(b, pa.int64()), "cut_kind": pa.array(kind, pa.string())})
-
-    cuts = ranges.mapInArrow(detect, table).groupBy("__row").applyInArrow(stitch, "__row bigint, piece_no int, char_start bigint, char_end bigint, cut_kind string")
-    emitted = long.join(cuts, "__row").select(*keys, "piece_no", "char_start", "char_end", "cut_kind", *([F.substring("piece", (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int")).alias("piece")] if with_text else []))
+        at = {k: np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in t[k].to_pylist()])) for k in KINDS}
+        starts, ends, kinds = zip(*choose_cuts(t["total"][0].as_py(), at, limit, overlap))
+        return pa.table({"text_hash": t["text_hash"].slice(0, 1), "starts": pa.array([starts], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())), "kinds": pa.array([kinds], pa.list_(pa.string()))})
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.schema.names
+            for i in range(batch.num_rows):
+                starts, ends, kinds = (batch.column(last.index(c))[i].as_py() for c in ("starts", "ends", "kinds"))
+                text = batch.column(width)[i].as_py() if with_text else None
+                index = pa.array([i] * len(starts), pa.int64())
+                columns = [batch.column(k).take(index) for k in range(width)] + [pa.array(range(len(starts)), pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([text[a:b] for a, b in zip(starts, ends)], pa.string())] if with_text else []), [f.name for f in schema])
+
+    cuts = ranges.mapInArrow(detect, table).groupBy("text_hash").applyInArrow(stitch, "text_hash string, starts array<bigint>, ends array<bigint>, kinds array<string>")
+    kept = long if with_text else long.drop("piece")
+    emitted = kept.join(cuts, "text_hash").select(*keys, *(["piece"] if with_text else []), "starts", "ends", "kinds").mapInArrow(emit, schema)
     return short.unionByName(emitted)
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.llm.ranges import slices, text_hash
 from lodestrata.session import spread
 
 #: The vocabulary's file; a parameter, never part of this package.
@@ -71,10 +72,6 @@ def safe_cut(text: str, start: int, end: int) -> int | None:
     return None
 
 
-def _starts(n: int, segment: int) -> range:
-    return range(0, max(n, 1), segment)
-
-
 def segment_bounds(text: str, offset: int, total: int, segment: int) -> tuple[int, int, bool]:
     """(start, end, raw) of a segment within ``text``, its range with one range of halo behind.
 
@@ -180,10 +177,6 @@ def _last_safe(text: str) -> int | None:
     return None
 
 
-def _encode_batch(enc: tiktoken.Encoding, texts: list[str]) -> list[list[int]]:
-    return [enc.encode_ordinary(t) for t in texts]
-
-
 def _ids_array(lists: list) -> pa.Array:
     return pa.array(lists, pa.list_(pa.int32()))
 
@@ -214,24 +207,18 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     done = spread(short).mapInArrow(whole, counted if counts_only else out)
 
-    total = F.length("text")
-    offsets = F.explode(F.sequence(F.lit(0), total - 1, F.lit(segment))).alias("offset")
     # a range, one character before it and one range of halo after it
-    long = slim.filter(F.length("text") > segment).withColumn("row", F.monotonically_increasing_id())
-    ranges = long.select("key", "row", F.col("text"), total.alias("total"), offsets).select("key", "row", "total", "offset", F.substring("text", F.greatest(F.col("offset"), F.lit(1)), F.lit(2 * segment + 1)).alias("part"))
-    ranges = ranges.repartition("row", "offset")
-    pieces = T.StructType([T.StructField("key", kind), T.StructField("row", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("raw", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    long = slim.filter(F.length("text") > segment).withColumn("text_hash", text_hash("text"))
+    ranges = slices(long, segment, 1, segment)
+    pieces = T.StructType([T.StructField("text_hash", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("raw", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                offset, total_chars, part = one.column(3)[0].as_py(), one.column(2)[0].as_py(), one.column(4)[0].as_py()
-                part = part[: 2 * segment] if not offset else part
-                start, end, raw = segment_bounds(part, offset, total_chars, segment)
+            for name, total, offset, part in zip(*(c.to_pylist() for c in batch.columns)):
+                start, end, raw = segment_bounds(part, offset, total, segment)
                 ids = enc.encode_ordinary(part[start:end]) if end > start else []
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(3), pa.array([raw]), _ids_array([ids])], ["key", "row", "offset", "raw", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([offset], pa.int32()), pa.array([raw]), _ids_array([ids])], [f.name for f in pieces])
 
     def stitch(table: pa.Table) -> pa.Table:
         enc = encoding(vocabulary)
@@ -239,8 +226,9 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
         sides = [(table["raw"][n].as_py(), table["ids"][n].as_py()) for n in order]
         while len(sides) > 1:  # neighbours join as a tree
             sides = [(a[0], join_texts(enc, a[1], b[1]) if b[0] else a[1] + b[1]) for a, b in zip(sides[::2], sides[1::2])] + ([sides[-1]] if len(sides) % 2 else [])
-        ids = sides[0][1]
-        return pa.table({"key": table["key"].slice(0, 1), "n_tokens": pa.array([len(ids)], pa.int64())}) if counts_only else pa.table({"key": table["key"].slice(0, 1), "ids": _ids_array([ids])})
+        made = pa.array([len(sides[0][1])], pa.int64()) if counts_only else _ids_array([sides[0][1]])
+        return pa.table({"text_hash": table["text_hash"].slice(0, 1), "made": made})
 
-    joined = ranges.mapInArrow(parts, pieces).groupBy("row").applyInArrow(stitch, counted if counts_only else out)
+    stitched = ranges.mapInArrow(parts, pieces).groupBy("text_hash").applyInArrow(stitch, f"text_hash string, made {'bigint' if counts_only else 'array<int>'}")
+    joined = long.select("key", "text_hash").join(stitched, "text_hash").select("key", F.col("made").alias("n_tokens" if counts_only else "ids"))
     return done.unionByName(joined).withColumnRenamed("key", key)
