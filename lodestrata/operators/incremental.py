@@ -129,11 +129,29 @@ class IncrementalRun:
         return out
 
     def current_ledger(self) -> DataFrame:
-        """Each key's last processed version."""
-        paths = [f"{self.root}/ledger/run={n}" for n, _ in self.done()]
+        """Each key's last processed version: the newest whole state (see ``compact``) and the runs after it."""
+        runs = [n for n, _ in self.done()]
+        whole = [n for n in self._compacted() if n in runs]
+        base = whole[-1] if whole else 0
+        paths = ([f"{self.root}/whole/upto={base}"] if base else []) + [f"{self.root}/ledger/run={n}" for n in runs if n > base]
         rows = self.spark.read.parquet(*paths)
-        last = rows.groupBy(*(f"__l_{k}" for k in self.keys)).agg(F.max_by(F.struct(f"__l_{self.version}"), "__run").alias("v"))
-        return last.select(*(f"__l_{k}" for k in self.keys), F.col("v").getField(f"__l_{self.version}").alias(f"__l_{self.version}"))
+        last = rows.groupBy(*(f"__l_{k}" for k in self.keys)).agg(F.max_by(F.struct(f"__l_{self.version}"), "__run").alias("v"), F.max("__run").alias("__run"))
+        return last.select(*(f"__l_{k}" for k in self.keys), F.col("v").getField(f"__l_{self.version}").alias(f"__l_{self.version}"), "__run")
+
+    def _compacted(self) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/whole")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        folders = [s.getPath() for s in fs.listStatus(at)]
+        ready = [p for p in folders if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in ready)
+
+    def compact(self) -> None:
+        """The ledger's parts as one whole state, so that a run reads one part a key, not one a run. A state without its mark of success isn't used."""
+        runs = self.done()
+        if runs and runs[-1][0] not in self._compacted():
+            self.current_ledger().write.mode("overwrite").parquet(f"{self.root}/whole/upto={runs[-1][0]}")
 
     def run(self, source: DataFrame, open_from: int) -> DataFrame:
         """Process what is pending; ``open_from`` is the oldest transaction still open now. Returns the run's output."""

@@ -184,7 +184,7 @@ def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], w
         raise ValueError(f"key columns clash with result columns: {sorted(clash)}")
     names, where = list(fields), [f"__{n}" for n in range(len(fields))]
     slim = df.select(*(F.col(k).cast("string").alias(k) for k in keys), *(e.alias(w) for w, e in zip(where, fields.values())))
-    may_hold = reduce(lambda a, b: a | b, (F.instr(w, "[") > 0 for w in where))
+    may_hold = reduce(lambda a, b: a | b, (F.col(w).rlike(r"\[|\\u005") for w in where))
     slim = slim.filter(may_hold)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*keys, *LINKS[:5], *(["record"] if with_record else [])]])
     width = len(schema)
@@ -198,7 +198,7 @@ def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], w
             for values in zip(*columns):
                 key = values[: len(keys)]
                 for name, text in zip(names, values[len(keys) :]):
-                    if text and "[" in text and (root := parse_object(text)) is not None:
+                    if text and ("[" in text or "\\u005" in text) and (root := parse_object(text)) is not None:
                         rows.extend((*key, name, *r)[:width] for r in records_of(root, automaton, with_record))
                 if len(rows) >= 20_000:
                     yield _batch(rows, target)

@@ -61,6 +61,9 @@ def test_ledger_runs_skip_nothing_and_repeat_nothing(spark, rows, tmp_path):
     assert rows(run.pending(second)) == [("b", "2", 4), ("c", "1", 2)]
     assert rows(run.run(second, open_from=5)) == [("b", "2", 4), ("c", "1", 2)]
     assert rows(run.run(second, open_from=5)) == []
+    run.compact()
+    run.compact()
+    assert rows(run.pending(second)) == [] and run._compacted() == [3]
     # back to an earlier version
     assert rows(run.run(source(spark, [("b", "1", 6)]), open_from=7)) == [("b", "1", 6)]
 
