@@ -97,30 +97,6 @@ def pair_holds(enc: tiktoken.Encoding, a: int, b: int) -> bool:
     return enc._encode_single_piece(enc.decode_single_token_bytes(a) + enc.decode_single_token_bytes(b)) == [a, b]
 
 
-def encode_run(enc: tiktoken.Encoding, data: bytes, leaf: int = 4096) -> list[int]:
-    """The ids of one word's bytes by tree concatenation; equal to encoding it at once."""
-    parts = [enc._encode_single_piece(data[k : k + leaf]) for k in range(0, len(data), leaf)]
-    while len(parts) > 1:
-        parts = [join_run(enc, parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0] if parts else []
-
-
-def join_run(enc: tiktoken.Encoding, left: list[int], right: list[int]) -> list[int]:
-    """The ids of two parts of one word: windows around the join grow until both sides agree."""
-    if not left or not right:
-        return left + right
-    token = enc.decode_single_token_bytes
-    width = 4
-    while True:
-        i, j = max(0, len(left) - width), min(len(right), width)
-        window = enc._encode_single_piece(b"".join(map(token, left[i:] + right[:j])))
-        if (i == 0 or pair_holds(enc, left[i - 1], window[0])) and (j == len(right) or pair_holds(enc, window[-1], right[j])):
-            return left[:i] + window + right[j:]
-        if i == 0 and j == len(right):
-            return window
-        width *= 2
-
-
 def _tail_bytes(enc: tiktoken.Encoding, ids: list[int], from_end: bool, least: int) -> tuple[int, str]:
     """(number of tokens, text) of a stretch at an end of ids that is text by itself and has ``least`` tokens or more."""
     n = min(least, len(ids))

@@ -36,10 +36,13 @@ def test_unsplit_runs(text):
     assert in_segments(text, 100) == K.encoding().encode_ordinary(text)
 
 
-def test_tree_concatenation_of_one_word():
-    enc, data = K.encoding(), ("abcde" * 4000).encode()
-    assert K.encode_run(enc, data, 64) == enc._encode_single_piece(data)
-    assert K.encode_run(enc, b"") == [] and K.join_run(enc, [], [5]) == [5]
+def test_joins_inside_one_word():
+    enc = K.encoding()
+    for text in ("abcde" * 400, "中文字" * 300, "12345678" * 200):
+        whole = enc.encode_ordinary(text)
+        for cut in (1, 7, len(text) // 2, len(text) - 1):
+            assert K.join_texts(enc, enc.encode_ordinary(text[:cut]), enc.encode_ordinary(text[cut:])) == whole
+    assert K.join_texts(enc, [], [5]) == [5]
 
 
 def test_corpus(spark):
