@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.operators import incremental, orphans, records, snapshots
-from lodestrata.session import table
+from lodestrata.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_variants(spark: SparkSession, d: str) -> DataFrame:
-    return records.variant_catalog(records.array_records(table(spark, d, "nodes").dropDuplicates()))
+    return records.variant_catalog(records.array_records(table(spark, d, "nodes").select("slug", "id", "corpus", "content", "metadata").dropDuplicates()))
+
+
+def p2_subtypes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "nodes").select("slug", "id", "corpus", "content", "metadata").dropDuplicates()
+    return records.subtype_catalog(staged(records.array_records(nodes, with_record=True).select("field_name", "path", "variant", "record")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +45,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.change_counts(p6_found(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_variants, p3_found, p4_found, p4_counts, p6_found, p6_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_variants, p2_subtypes, p3_found, p4_found, p4_counts, p6_found, p6_counts)}
 
 _ORDER = """snap AS (SELECT slug, patchline, row_number() OVER (PARTITION BY patchline ORDER BY version_date, build_number, slug) AS place FROM version_meta)"""
 _PATH = r"nullif(regexp_replace(replace(file_path, '\', '/'), '^(?:\./)+', ''), '')"

@@ -91,6 +91,8 @@ def test_subtype_tables_are_typed_and_keep_links(spark):
     table = R.subtype_table(records, "/items/*")
     assert dict(table.select("fields.*").dtypes) == {"id": "string", "n": "bigint", "w": "double"}
     assert [(r.child_ptr, r.id, r.n, r.w) for r in table.select("child_ptr", "fields.*").orderBy("child_ptr").collect()] == [("/items/0", "a", 1, 1.0), ("/items/1", "b", None, 1.5)]
+    catalog = {(r.path, r.name): (r.type, r.n_present, r.n_records) for r in R.subtype_catalog(records).collect()}
+    assert catalog["/items/*", "w"] == ("double", 2, 2) and catalog["/items/*", "n"] == ("bigint", 1, 2) and catalog["/items/*/sub/*", "z"] == ("boolean", 1, 1)
     child = R.subtype_table(records, "/items/*/sub/*").select("parent_ptr", "fields.z").collect()
     assert [tuple(r) for r in child] == [("/items/0", True)]
     assert R.variant_catalog(records).agg(F.sum("n_records")).collect()[0][0] == 3
