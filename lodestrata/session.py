@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +32,31 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **extra: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """The package to the executors' Python, once a session, as they may not have it installed.
+
+    In local mode, where the workers see the driver's path anyway, there is nothing to do.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_shipped", False):
+        return
+    context._lodestrata_shipped = True
+    package = Path(__file__).resolve().parent
+    seen = {os.path.realpath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    if context.master.startswith("local") and not context.master.startswith("local-") and str(package.parent) in seen:
+        return
+    folder = tempfile.mkdtemp(prefix="lodestrata-")  # the driver's own; its file server hands the archive out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "lodestrata.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(archive)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of a data folder (a file or a folder of Parquet parts)."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -40,6 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
     (tests, a laptop) a local folder is made.
     """
+    ship(spark)
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
@@ -101,6 +128,7 @@ def spread(df: DataFrame) -> DataFrame:
     enough to fill the cores by its splits is left as it is, and so is what has
     been shuffled before.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     if int(plan.stats().sizeInBytes()) >= cores * SPREAD_BYTES:
