@@ -117,10 +117,10 @@ def glob_members(includes: DataFrame, names: DataFrame) -> DataFrame:
 
     plain = includes.filter(F.instr("glob", "*") == 0).join(names.select(F.col("name").alias("glob"), "name").distinct(), "glob").select("group_id", "name", "exclude")
     wild = includes.filter(F.instr("glob", "*") > 0).withColumn("pattern", glob_pattern(F.col("glob")))
-    # the fixed text before the first * is an equality on a prefix of its length
+    # the fixed text before the first * is an equality on a prefix of its length; there are as many lengths as the longest glob has characters, at most
     prefix = F.substring_index("glob", "*", 1)
     keyed = wild.withColumns({"prefix": prefix, "width": F.length(prefix)})
-    widths = [r["width"] for r in keyed.select("width").distinct().limit(64).collect()]
+    widths = [r["width"] for r in keyed.select("width").distinct().collect()]
     by_width = names.select("name", F.explode(F.array(*(F.lit(w) for w in widths)) if widths else F.array().cast("array<int>")).alias("width")).withColumn("prefix", F.expr("substring(name, 1, width)"))
     hits = by_width.join(keyed, ["prefix", "width"]).filter(F.expr("name rlike pattern")).select("group_id", "name", "exclude")
     return plain.unionByName(hits).groupBy("group_id", "name").agg(F.max(F.col("exclude").cast("int")).alias("out")).filter("out = 0").select("group_id", "name")

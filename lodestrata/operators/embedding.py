@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import plan_bytes
+from lodestrata.session import plan_bytes, staged
 
 #: Queries that are sent to all tasks at once.
 BLOCK = 4096
@@ -126,8 +126,8 @@ def embed_missing(texts: DataFrame, cache: DataFrame, text: str, backend: Embedd
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", round_to: int | None = None) -> DataFrame:
     """(query_key, rank, key, score): the k vectors of greatest cosine for each query, exactly; ties by key.
 
-    The queries are a stated set and go to the tasks in blocks of bounded
-    size; each task keeps its own best k of a query, so that k rows a query
+    The queries are a stated set and go to the tasks in blocks of bounded size,
+    one after the other if there are several; each task keeps its own best k of a query, so that k rows a query
     and task are shuffled. Vectors that are null, empty, zero or of another
     length than the query's don't count; a query isn't its own neighbour.
     """
@@ -175,7 +175,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
                 q, v, c = zip(*flat)
                 yield pa.RecordBatch.from_arrays([pa.array(q, key_type), pa.array(v, key_type), pa.array(c, pa.float64())], ["query_key", key, "score"])
 
-        parts.append(usable(vectors).mapInArrow(scan, f"query_key {kind}, `{key}` {kind}, score double"))
+        found = usable(vectors).mapInArrow(scan, f"query_key {kind}, `{key}` {kind}, score double")
+        parts.append(found if blocks == 1 else staged(found))
+        if blocks > 1:
+            handle.destroy()
     score = F.col("score") if round_to is None else F.round("score", round_to)
     by = Window.partitionBy("query_key").orderBy(F.desc("score"), key)
     return reduce(DataFrame.unionByName, parts).withColumn("score", score).withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < k)

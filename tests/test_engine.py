@@ -164,7 +164,7 @@ def test_catalog(spark, rows):
     assert [r.doc_id for r in catalog.source_priority(docs).orderBy("doc_id").collect()] == [2, 3]
 
 
-def test_embedding(spark):
+def test_embedding(spark, monkeypatch):
     texts = spark.createDataFrame([("a b",), ("a b",), (None,), ("c",)], "t string")
     cache = spark.createDataFrame([], "content_hash string, model_id string, vector array<float>, dimension int")
     made = embedding.embed_missing(texts, cache, "t", embedding.HashingBackend(8))
@@ -191,6 +191,9 @@ def test_embedding(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, [2.0, 0.0])], "vec_id int, embedding array<double>")
     got = [(r.query_key, r.vec_id, r.rank) for r in embedding.nearest(v, v.filter("vec_id = 1"), 2).orderBy("rank").collect()]
     assert got == [(1, 7, 0), (1, 2, 1)]
+    whole = sorted(map(tuple, embedding.nearest(v, v, 2).collect()))
+    monkeypatch.setattr(embedding, "BROADCAST_BYTES", 20)
+    assert sorted(map(tuple, embedding.nearest(v, v, 2).collect())) == whole
 
 
 def test_stream_of_deliveries(spark, tmp_path):
