@@ -24,6 +24,7 @@ def _one_hop(edge_type: str, outgoing: bool, condition: str = "true", limit: int
 SELECT * FROM hits {cap}"""
 
 
+#: The tables have no OFFERED_IN_SHOP and DROPS_ON_DEATH edges; REQUIRES_ITEM stands in for them in shops_selling and drops_two_hop.
 _HOPS = {
     "implementing_code": ("IMPLEMENTED_BY", True, "node_type = 'JavaClass'", 10),
     "gamedata_for_code": ("IMPLEMENTED_BY", False, "corpus = 'gamedata'", 5),
