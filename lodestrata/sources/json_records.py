@@ -311,3 +311,31 @@ def block_palette(record: dict, top: int = 15) -> dict:
             count[name] = count.get(name, 0) + 1
     box = {a: (min(v), max(v)) for a in "xyz" if (v := [b[a] for b in blocks if isinstance(b.get(a), (int, float))])}
     return {"palette": sorted(count.items(), key=lambda kv: (-kv[1], kv[0]))[:top], "box": box, "n": len(blocks)}
+
+
+def implemented_by(records: DataFrame, classes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(source_id, target_id, edge_type): records bound to the classes that handle their type.
+
+    ``records`` has (id, data_type), ``classes`` (id, display_name), ``mapping``
+    (data_type, class_name), a table of the game's own that comes with its data.
+    """
+    named = mapping.join(classes.select(F.col("id").alias("target_id"), F.col("display_name").alias("class_name")), "class_name").select("data_type", "target_id").distinct()
+    return records.select(F.col("id").alias("source_id"), "data_type").distinct().join(named, "data_type").select("source_id", "target_id", F.lit("IMPLEMENTED_BY").alias("edge_type"))
+
+
+def translations(files: DataFrame) -> DataFrame:
+    """(key, value) of language files, keys with their file's prefix; of a key in several files the least path's holds, fallback files are left out."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("key", pa.string()), ("path", pa.string()), ("value", pa.string())])
+        for batch in batches:
+            rows = [{"key": ".".join(x for x in (language_prefix(p), k) if x), "path": p, "value": v} for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, v in parse_language(t or "").items()]
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    made = files.filter(F.col("path").endswith(".lang") & ~F.col("path").endswith("fallback.lang")).select("path", "content").mapInArrow(walk, "key string, path string, value string")
+    return made.groupBy("key").agg(F.min_by("value", "path").alias("value"))
+
+
+def translated(records: DataFrame, words: DataFrame, key: str, into: str) -> DataFrame:
+    """``records`` with the translation of the key in column ``key`` as ``into``; null without one."""
+    return records.join(words.select(F.col("key").alias("__key"), F.col("value").alias(into)), F.col(key) == F.col("__key"), "left").drop("__key")

@@ -124,3 +124,14 @@ def test_encoding():
     assert rows_of([], "ids") == "results: []" and "results[1]{node_id,display_name,score,corpus}:" in rows_of([{"node_id": "n"}], "ids")
     with pytest.raises(ValueError):
         rows_of([], "all")
+
+
+def test_classes_and_translations_of_records(spark, rows):
+    records = spark.createDataFrame([("g:a", "item", "items.a.name"), ("g:a", "item", "items.a.name"), ("g:b", "npc", "nope"), ("g:c", None, None)], "id string, data_type string, name_key string")
+    classes = spark.createDataFrame([("class:x.Item", "Item"), ("class:y.Item", "Item"), ("class:x.Other", "Other")], "id string, display_name string")
+    mapping = spark.createDataFrame([("item", "Item"), ("item", "Missing"), ("npc", "Absent")], "data_type string, class_name string")
+    assert rows(J.implemented_by(records, classes, mapping)) == [("g:a", "class:x.Item", "IMPLEMENTED_BY"), ("g:a", "class:y.Item", "IMPLEMENTED_BY")]
+    langs = spark.createDataFrame([("Common/Languages/en-US/items.lang", "a.name = Axe\na.name2=B"), ("Common/Languages/en-US/fallback.lang", "x = y"), ("z/Languages/en-US/items.lang", "a.name = Later"), ("a.json", "a = b")], "path string, content string")
+    words = J.translations(langs)
+    assert rows(words) == [("items.a.name", "Axe"), ("items.a.name2", "B")]
+    assert {(r.id, r.shown) for r in J.translated(records, words, "name_key", "shown").collect()} == {("g:a", "Axe"), ("g:b", None), ("g:c", None)}
