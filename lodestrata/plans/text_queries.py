@@ -162,9 +162,9 @@ def route_questions(spark, d):
 
 
 def jaccard_neighbours(spark, d):
-    """Word overlap of the snippets at both ends of each call."""
+    """Word overlap of the whole contents at both ends of each call."""
     edges = table(spark, d, "edges").filter("edge_type = 'CALLS'").select("slug", "source_id", "target_id").distinct()
-    heads = table(spark, d, "nodes").filter("id is not null").groupBy("slug", "id").agg(F.max("content").alias("content")).select("slug", "id", X.snippet_tokens(F.substring("content", 1, 400)).alias("words"))
+    heads = table(spark, d, "nodes").filter("id is not null").groupBy("slug", "id").agg(F.max("content").alias("content")).select("slug", "id", X.snippet_tokens(F.col("content")).alias("words"))
     a, b = heads.select("slug", F.col("id").alias("source_id"), F.col("words").alias("wa")), heads.select("slug", F.col("id").alias("target_id"), F.col("words").alias("wb"))
     return edges.join(a, ["slug", "source_id"]).join(b, ["slug", "target_id"]).select("slug", "source_id", "target_id", F.round(X.jaccard(F.col("wa"), F.col("wb")), 9).alias("jaccard"))
 

@@ -151,3 +151,14 @@ def test_metrics(spark):
     assert evaluation.sweep_grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}] and evaluation.sweep_grid({}) == [{}]
     best = evaluation.best_combination(spark.createDataFrame([(0, 0.5, 0.9), (1, 0.6, 0.1), (2, 0.6, 0.1)], "combo int, recall_at_5 double, mrr double"))
     assert best.first().combo == 1 and evaluation.passes(0.5, None) and not evaluation.passes(0.5, 0.6)
+
+
+def test_jaccard_neighbours_reads_whole_contents(spark, rows, tmp_path):
+    from lodestrata.plans.text_queries import jaccard_neighbours
+
+    same = "word " * 100
+    nodes = [("s", "a", same + "left both"), ("s", "b", same + "right both"), ("s", "c", None)]
+    spark.createDataFrame(nodes, "slug string, id string, content string").write.parquet(f"{tmp_path}/nodes.parquet")
+    edges = [("s", "a", "b", "CALLS"), ("s", "a", "c", "CALLS"), ("s", "b", "a", "EXTENDS")]
+    spark.createDataFrame(edges, "slug string, source_id string, target_id string, edge_type string").write.parquet(f"{tmp_path}/edges.parquet")
+    assert rows(jaccard_neighbours(spark, str(tmp_path))) == [("s", "a", "b", 0.5), ("s", "a", "c", 0.0)]
