@@ -6,7 +6,8 @@ the states below it, arrays collapse to the set of their elements' states, so
 order, length and repetition don't make new variants. Records of one
 generalised path form a supertype; its variants are the automaton's states.
 ``subtype_table`` routes a path (or one variant of it) into a typed table that
-keeps the supertype's keys and the link to the parent.
+keeps the supertype's keys and the link to the parent; ``typed_records`` puts
+out the rows of all paths and variants at once.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,9 @@ from pyspark.sql import types as T
 
 from lodestrata.session import spread
 
-LINKS = ("field_name", "child_ptr", "parent_ptr", "path", "variant", "record")
+LINKS = ("field_name", "child_ptr", "parent_ptr", "path", "variant", "record", "fields")
+#: Of one field of a typed record; the value stands in the column of its type, all others are null.
+FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("bigint_value", T.LongType()), T.StructField("double_value", T.DoubleType()), T.StructField("boolean_value", T.BooleanType()), T.StructField("string_value", T.StringType())])
 _QUOTED_OR_COMMENT = re.compile(r'"(?:[^"\\]|\\.)*"|//[^\r\n]*|/\*.*?\*/', re.S)
 _QUOTED_OR_COMMA = re.compile(r'"(?:[^"\\]|\\.)*"|,(?=[ \t\r\n]*[}\]])', re.S)
 _BLANK = " \t\r\n"
@@ -116,10 +121,11 @@ def _escape(token: str) -> str:
     return token.replace("~", "~0").replace("/", "~1") if "~" in token or "/" in token else token
 
 
-def records_of(root: dict, automaton: ShapeAutomaton, with_record: bool = True) -> list[tuple]:
+def records_of(root: dict, automaton: ShapeAutomaton, with_record: bool = True, typed: bool = False) -> list[tuple]:
     """(child_ptr, parent_ptr, path, variant, record) of each object that is an array's element.
 
-    The walk keeps its own stack: depth is bounded by the text alone.
+    If ``typed``, its fields (see ``_typed``) come in place of the record. The
+    walk keeps its own stack: depth is bounded by the text alone.
     """
     # value, pointer, pointer of the enclosing record, generalised path, is a record, place of the container above, key there
     order: list[tuple] = []
@@ -151,31 +157,72 @@ def records_of(root: dict, automaton: ShapeAutomaton, with_record: bool = True)
         if above >= 0:
             below[above][key] = state
         if is_record:
-            found.append((ptr, owner, path, state, _own(value) if with_record else None))
+            found.append((ptr, owner, path, state, _typed(value) if typed else _own(value) if with_record else None))
     found.reverse()
     return found
 
 
 def _own(value: dict) -> str | None:
     """The record as JSON text; arrays that hold records are left to the child tables."""
-
-    def holds_records(x) -> bool:
-        return type(x) is list and any(type(e) is dict or holds_records(e) for e in x)
-
     try:
-        return json.dumps({k: v for k, v in value.items() if not holds_records(v)}, ensure_ascii=False)
+        return json.dumps({k: v for k, v in value.items() if not _holds_records(v)}, ensure_ascii=False)
     except RecursionError:
         return None
 
 
-def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], with_record: bool = True) -> DataFrame:
+def _holds_records(value) -> bool:
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if type(x) is list:
+            if any(type(e) is dict for e in x):
+                return True
+            stack.extend(e for e in x if type(e) is list)
+    return False
+
+
+def _is_bigint(value) -> bool:
+    return type(value) is int and -(2**63) <= value < 2**63
+
+
+def _typed(value: dict) -> list[tuple]:
+    """(name, type, bigint, double, boolean, string) of each field by name, as its JSON token tells.
+
+    Arrays that hold records are left to the child tables. Other arrays and
+    objects are of type ``json``, as their text; an integer beyond 64 bits is
+    of type ``integer``, as its digits.
+    """
+    out = []
+    for name in sorted(value):
+        v = value[name]
+        if v is None:
+            out.append((name, "null", None, None, None, None))
+        elif type(v) is bool:
+            out.append((name, "boolean", None, None, v, None))
+        elif _is_bigint(v):
+            out.append((name, "bigint", v, None, None, None))
+        elif type(v) is float:
+            out.append((name, "double", None, v, None, None))
+        elif type(v) is str:
+            out.append((name, "string", None, None, None, v))
+        elif type(v) in (int, _Int):
+            out.append((name, "integer", None, None, None, str(v)))
+        elif not _holds_records(v):
+            try:
+                out.append((name, "json", None, None, None, json.dumps(v, ensure_ascii=False)))
+            except RecursionError:
+                out.append((name, "json", None, None, None, None))
+    return out
+
+
+def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], with_record: bool = True, typed: bool = False) -> DataFrame:
     """One row for each JSON object that is an element of an array, at any depth.
 
     ``keys`` name columns of ``df`` that are carried along; ``fields`` maps a
     field's name to a string expression. Result: the keys (as strings), then
     field_name, child_ptr, parent_ptr (JSON Pointers, '' without a parent),
     path (child_ptr with ``*`` for places in arrays), variant and, if
-    ``with_record``, record. One scan, no shuffle; texts that are null, empty,
+    ``with_record``, record, or if ``typed``, fields instead. One scan, no shuffle; texts that are null, empty,
     broken or no object give no rows; a row that is delivered twice gives its
     records twice; null keys are kept; other columns of ``df`` aren't read.
     Keys must not be named as a result column (ValueError).
@@ -186,12 +233,14 @@ def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], w
     slim = df.select(*(F.col(k).cast("string").alias(k) for k in keys), *(e.alias(w) for w, e in zip(where, fields.values())))
     may_hold = reduce(lambda a, b: a | b, (F.col(w).rlike(r"\[|\\u005") for w in where))
     slim = slim.filter(may_hold)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*keys, *LINKS[:5], *(["record"] if with_record else [])]])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*keys, *LINKS[:5], *(["record"] if with_record and not typed else [])]])
+    if typed:
+        schema.add("fields", T.ArrayType(FIELD))
     width = len(schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ShapeAutomaton()
-        target = pa.schema([(f.name, pa.string()) for f in schema])
+        target = pa.schema([(f.name, _FIELDS if f.name == "fields" and typed else pa.string()) for f in schema])
         for batch in batches:
             rows: list[tuple] = []
             columns = [c.to_pylist() for c in batch.columns]
@@ -199,7 +248,7 @@ def flatten_records(df: DataFrame, keys: list[str], fields: dict[str, Column], w
                 key = values[: len(keys)]
                 for name, text in zip(names, values[len(keys) :]):
                     if text and ("[" in text or "\\u005" in text) and (root := parse_object(text)) is not None:
-                        rows.extend((*key, name, *r)[:width] for r in records_of(root, automaton, with_record))
+                        rows.extend((*key, name, *r)[:width] for r in records_of(root, automaton, with_record, typed))
                 if len(rows) >= 20_000:
                     yield _batch(rows, target)
                     rows = []
@@ -214,12 +263,23 @@ def _clean(text: str | None) -> str | None:
     return text if text is None or text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows))
+_FIELD = pa.struct([("name", pa.string()), ("type", pa.string()), ("bigint_value", pa.int64()), ("double_value", pa.float64()), ("boolean_value", pa.bool_()), ("string_value", pa.string())])
+_FIELDS = pa.list_(_FIELD)
+
+
+def _array(values: Iterable, kind: pa.DataType) -> pa.Array:
+    if kind == _FIELDS:
+        flat = [f for fields in values for f in fields]
+        parts = [_array(c, f.type) for c, f in zip(zip(*flat) if flat else [()] * len(_FIELD), _FIELD)]
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_FIELD)))
     try:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=target)
+        return pa.array(values, kind)
     except (UnicodeEncodeError, pa.ArrowInvalid):
-        return pa.RecordBatch.from_arrays([pa.array([_clean(x) for x in c], pa.string()) for c in columns], schema=target)
+        return pa.array([_clean(x) for x in values], kind)
+
+
+def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
 
 def variant_catalog(records: DataFrame) -> DataFrame:
@@ -227,9 +287,33 @@ def variant_catalog(records: DataFrame) -> DataFrame:
     return records.groupBy("field_name", "path", "variant").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _kind(value: Column) -> Column:
-    """Of a field's text: 0 null, 1 int, 2 number, 3 boolean, 4 anything else."""
-    return F.when(value.isNull(), F.lit(0)).when(value.rlike(r"^-?\d{1,18}$"), 1).when(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), 2).when(value.isin("true", "false"), 3).otherwise(4)
+def _kind(value) -> int:
+    """0 null, 1 int, 2 number, 3 boolean, 4 anything else: quoted digits, integers beyond 64 bits."""
+    if value is None:
+        return 0
+    if type(value) is bool:
+        return 3
+    return 1 if _is_bigint(value) else 2 if type(value) is float else 4
+
+
+def _fields_of(record: str) -> dict:
+    try:
+        return json.loads(record, parse_int=_integer)
+    except (ValueError, RecursionError):
+        return {}
+
+
+def _field_kinds(records: DataFrame) -> DataFrame:
+    """(field_name, path, name, kind, n): how many fields of each kind, by their JSON tokens; a batch's are counted before they leave it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = pa.schema([("field_name", pa.string()), ("path", pa.string()), ("name", pa.string()), ("kind", pa.int32()), ("n", pa.int64())])
+        for batch in batches:
+            found = Counter((field, path, name, _kind(v)) for field, path, text in zip(*(c.to_pylist() for c in batch.columns)) for name, v in _fields_of(text).items())
+            if found:
+                yield _batch([(*k, n) for k, n in found.items()], target)
+
+    return records.select("field_name", "path", "record").filter("record is not null").mapInArrow(count, "field_name string, path string, name string, kind int, n bigint")
 
 
 def subtype_catalog(records: DataFrame) -> DataFrame:
@@ -239,8 +323,7 @@ def subtype_catalog(records: DataFrame) -> DataFrame:
     aggregations; nothing comes to the driver.
     """
     sizes = records.groupBy("field_name", "path").agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("variant").alias("n_variants"))
-    pairs = records.select("field_name", "path", F.explode(F.map_entries(F.from_json("record", "map<string,string>"))).alias("e")).select("field_name", "path", F.col("e.key").alias("name"), _kind(F.col("e.value")).alias("kind"))
-    fields = pairs.groupBy("field_name", "path", "name").agg(F.count(F.lit(1)).alias("n_present"), F.max("kind").alias("most"), F.min(F.when(F.col("kind") > 0, F.col("kind"))).alias("least"))
+    fields = _field_kinds(records).groupBy("field_name", "path", "name").agg(F.sum("n").alias("n_present"), F.max("kind").alias("most"), F.min(F.when(F.col("kind") > 0, F.col("kind"))).alias("least"))
     typed = F.when(F.col("most") == 0, "string").when((F.col("most") == 2) & (F.col("least") >= 1), "double").when(F.col("most") != F.col("least"), "string").when(F.col("most") == 1, "bigint").when(F.col("most") == 3, "boolean").otherwise("string")
     return fields.join(sizes, ["field_name", "path"]).select("field_name", "path", "name", typed.alias("type"), "n_present", "n_records", "n_variants")
 
@@ -252,13 +335,10 @@ def subtype_schema(records: DataFrame, path: str, max_fields: int = 1000) -> T.S
     string. ``max_fields`` bounds what comes to the driver; the most frequent
     fields get columns, the text of the rest stays in ``record``.
     """
-    pair = F.explode(F.map_entries(F.from_json("record", "map<string,string>"))).alias("e")
     found = (
-        records.filter(F.col("path") == path)
-        .select(pair)
-        .select(F.col("e.key").alias("name"), _kind(F.col("e.value")).alias("kind"))
+        _field_kinds(records.filter(F.col("path") == path))
         .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("most"), F.min(F.when(F.col("kind") > 0, F.col("kind"))).alias("least"))
+        .agg(F.sum("n").alias("n"), F.max("kind").alias("most"), F.min(F.when(F.col("kind") > 0, F.col("kind"))).alias("least"))
         .orderBy(F.desc("n"), "name")
         .limit(max_fields)
         .collect()
@@ -280,10 +360,21 @@ def subtype_table(records: DataFrame, path: str, variant: str | None = None, sch
     return rows.withColumn("fields", F.from_json("record", schema))
 
 
-def array_records(nodes: DataFrame, with_record: bool = False) -> DataFrame:
+def array_records(nodes: DataFrame, with_record: bool = False, typed: bool = False) -> DataFrame:
     """The records in ``content`` of gamedata and in ``metadata`` of all nodes."""
     content = F.when(F.col("corpus") == "gamedata", F.col("content"))
-    return flatten_records(nodes.withColumnRenamed("id", "node_id") if "node_id" not in nodes.columns else nodes.drop("node_id").withColumnRenamed("id", "node_id"), ["slug", "node_id"], {"content": content, "metadata": F.col("metadata")}, with_record)
+    return flatten_records(nodes.withColumnRenamed("id", "node_id") if "node_id" not in nodes.columns else nodes.drop("node_id").withColumnRenamed("id", "node_id"), ["slug", "node_id"], {"content": content, "metadata": F.col("metadata")}, with_record, typed)
+
+
+def typed_records(nodes: DataFrame) -> DataFrame:
+    """(slug, node_id, field_name, child_ptr, parent_ptr, path, variant, fields): the typed row of each record of every path and variant.
+
+    (field_name, path) tells the supertype's table, variant the subtype's; a
+    variant's fields have one type each, integers beyond 64 bits aside.
+    parent_ptr leads to the parent's row of the same field. Equal nodes count
+    once.
+    """
+    return array_records(nodes.select("slug", "id", "corpus", "content", "metadata").dropDuplicates(), typed=True)
 
 
 def found_records(nodes: DataFrame) -> DataFrame:

@@ -25,6 +25,10 @@ def p2_subtypes(spark: SparkSession, d: str) -> DataFrame:
     return records.subtype_catalog(staged(records.array_records(nodes, with_record=True).select("field_name", "path", "variant", "record")))
 
 
+def p2_typed(spark: SparkSession, d: str) -> DataFrame:
+    return records.typed_records(table(spark, d, "nodes"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.found_deltas(table(spark, d, "file_hashes"), table(spark, d, "index_runs"), table(spark, d, "version_meta"))
 
@@ -45,7 +49,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.change_counts(p6_found(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_variants, p2_subtypes, p3_found, p4_found, p4_counts, p6_found, p6_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_variants, p2_subtypes, p2_typed, p3_found, p4_found, p4_counts, p6_found, p6_counts)}
 
 _ORDER = """snap AS (SELECT slug, patchline, row_number() OVER (PARTITION BY patchline ORDER BY version_date, build_number, slug) AS place FROM version_meta)"""
 _PATH = r"nullif(regexp_replace(replace(file_path, '\', '/'), '^(?:\./)+', ''), '')"

@@ -110,3 +110,32 @@ def test_lone_surrogates_and_deep_nesting(spark, rows):
     found = R.array_records(nodes, with_record=True).collect()
     assert sum(r.node_id == "d" for r in found) == 150
     assert sum(r.node_id == "u" for r in found) == 1
+
+
+def test_types_come_from_json_tokens(spark):
+    text = '{"items": [{"a": "12", "b": "true", "c": 12, "d": 12345678901234567890}, {"a": "7", "b": "no", "c": 9007199254740993, "d": 1}]}'
+    nodes = spark.createDataFrame([("s", "n", "gamedata", text, None, None)], NODES)
+    records = R.array_records(nodes, with_record=True)
+    table = R.subtype_table(records, "/items/*")
+    assert dict(table.select("fields.*").dtypes) == {"a": "string", "b": "string", "c": "bigint", "d": "string"}
+    assert [tuple(r) for r in table.orderBy("child_ptr").select("fields.*").collect()] == [("12", "true", 12, "12345678901234567890"), ("7", "no", 9007199254740993, "1")]
+    assert {r.name: r.type for r in R.subtype_catalog(records).collect()} == {"a": "string", "b": "string", "c": "bigint", "d": "string"}
+
+
+def test_typed_rows_of_all_paths_and_variants(spark, tmp_path):
+    from lodestrata.plans.training import QUERIES
+
+    text = '{"items": [{"id": "1", "n": 1, "w": 1.5, "ok": true, "no": null, "l": [1, "\\ud800"], "sub": [{"z": 12345678901234567890}, {}]}]}'
+    spark.createDataFrame([("s", "n", "gamedata", text, '{"t": [{"k": "true"}]}', None)] * 2, NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    df = QUERIES["p2_typed"](spark, str(tmp_path))
+    assert df.columns == ["slug", "node_id", "field_name", "child_ptr", "parent_ptr", "path", "variant", "fields"]
+    found = {(r.field_name, r.child_ptr): r for r in df.collect()}
+    assert df.count() == len(found) == 4
+    values = {k: {f.name: (f.type, f[2:]) for f in r.fields} for k, r in found.items()}
+    none = (None,) * 4
+    item = {"id": ("string", (None, None, None, "1")), "n": ("bigint", (1, None, None, None)), "w": ("double", (None, 1.5, None, None)), "ok": ("boolean", (None, None, True, None)), "no": ("null", none), "l": ("json", (None, None, None, '[1, "\ufffd"]'))}
+    assert values["content", "/items/0"] == item
+    assert values["content", "/items/0/sub/0"] == {"z": ("integer", (None, None, None, "12345678901234567890"))} and values["content", "/items/0/sub/1"] == {}
+    assert values["metadata", "/t/0"] == {"k": ("string", (None, None, None, "true"))}
+    assert found["content", "/items/0/sub/0"].parent_ptr == "/items/0" and found["content", "/items/0/sub/0"].path == "/items/*/sub/*"
+    assert found["content", "/items/0/sub/0"].variant != found["content", "/items/0/sub/1"].variant
