@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.text import signature, significance
 from lodestrata.operators.graph import unique_edges
+from lodestrata.session import spread, staged
 
 ORDER = ("ADDED", "REMOVED", "CHANGED")
+#: Characters of names that go to the texts at once.
+NAME_CHARS = 1 << 20
 
 
 def node_states(nodes: DataFrame, slug: str | Column) -> DataFrame:
@@ -69,18 +78,52 @@ def cross_references(diff: DataFrame, edges: DataFrame, per_node: int = 5) -> Da
     return ends.join(changed, "id", "left_semi").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= per_node).select("id", "other_id", "edge_type", "rank")
 
 
-def patch_notes(diff: DataFrame, docs: DataFrame, per_name: int = 3, least: int = 4) -> DataFrame:
-    """(name, doc_id, rank): documents that name what changed much, as a word of its own or a run of words.
+def patch_notes(diff: DataFrame, docs: DataFrame, per_name: int = 3, least: int = 4, block_chars: int = NAME_CHARS) -> DataFrame:
+    """(name, doc_id, rank): documents whose text or title has the name of what changed much, anywhere and without case.
 
-    Names of ``least`` characters or more; found by the words of the texts, an
-    equi-join on a name's first word, and then the whole name without case.
-    ``docs`` has (doc_id, text).
+    Names of ``least`` characters or more. ``docs`` has (doc_id, text) and may
+    have title. The names go to the texts in blocks of about ``block_chars``
+    characters, a pass over the texts each; texts are never shuffled.
     """
-    names = diff.filter((F.col("significance") == "HIGH") & (F.length("display_name") >= least)).select(F.lower("display_name").alias("name")).distinct().withColumn("key", F.regexp_extract("name", r"([\p{L}\p{N}]+)", 1)).filter("key <> ''")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("key"))
-    hits = words.join(names, "key").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id").filter(F.expr("contains(low, name)"))
+    names = staged(diff.filter((F.col("significance") == "HIGH") & (F.length("display_name") >= least)).select(F.lower("display_name").alias("name")).distinct())
+    blocks = max(1, -(-(names.agg(F.sum(F.length("name"))).collect()[0][0] or 0) // block_chars))
+    texts = spread(docs.select("doc_id", *(F.lower(c).alias(c) for c in ("text", "title") if c in docs.columns)))
+    parts = []
+    for block in range(blocks):
+        some = [r["name"] for r in (names if blocks == 1 else names.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)).collect()]
+        found = _mentions(texts, some).distinct()
+        parts.append(found if blocks == 1 else staged(found))
     by = Window.partitionBy("name").orderBy("doc_id")
-    return hits.select("name", "doc_id").distinct().withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= per_name)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= per_name)
+
+
+def _mentions(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(name, doc_id) of each of ``names`` that is a substring of any text of a row.
+
+    A name is looked for where its gram is, the run of up to 4 characters that
+    the fewest names share; a text that has the name has its gram.
+    """
+    width = min([4, *map(len, names)])
+    grams = lambda text: {text[i : i + width] for i in range(len(text) - width + 1)}
+    shared = Counter(g for name in names for g in grams(name))
+    under: dict[str, list[str]] = defaultdict(list)
+    for name in names:
+        under[min(grams(name), key=lambda g: (shared[g], g))].append(name)
+    keys, under = frozenset(under), dict(under)
+    schema = T.StructType([T.StructField("name", T.StringType()), texts.schema["doc_id"]])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, found = [], []
+            for n, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                row = [text for text in row if text is not None]
+                for gram in set().union(*(keys & grams(text) for text in row)):
+                    hits = [name for name in under[gram] if any(name in text for text in row)]
+                    take += [n] * len(hits)
+                    found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(take, pa.int64()))], ["name", "doc_id"])
+
+    return texts.mapInArrow(find, schema)
 
 
 def flatten_json(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -88,11 +131,6 @@ def flatten_json(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     Leaves are compared as JSON texts; empty objects and arrays are leaves.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     from lodestrata.operators.records import leaves_of, parse_object
 
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])

@@ -108,7 +108,7 @@ def cross_references(spark, d):
 
 
 def patch_notes(spark, d):
-    return D.patch_notes(D.version_diff(*_snapshots(spark, d)), table(spark, d, "documents").filter("text is not null").select("doc_id", "text"))
+    return D.patch_notes(D.version_diff(*_snapshots(spark, d)), table(spark, d, "documents").select("doc_id", "text", "title"))
 
 
 def json_fields(spark, d):

@@ -236,3 +236,14 @@ def test_index_a_tree(spark, tmp_path):
     assert cli.main(["--config", str(tmp_path / "none"), "index", "--source", str(tmp_path / "src"), "--out", str(tmp_path / "out"), "--slug", "s"]) == 0
     got = {(r.corpus, r.id) for r in spark.read.parquet(f"{tmp_path}/out/nodes").collect()}
     assert {("code", "a.A#m"), ("gamedata", "gamedata:Server:Weathers:R"), ("client", "ui:In/P.ui"), ("docs", "modding:g#01-t")} <= got
+
+
+@pytest.mark.parametrize("block_chars", [1 << 20, 12])
+def test_patch_notes_find_substrings_of_texts_and_titles(spark, rows, block_chars):
+    names = ["Torch", "Iron Sword", "Ore_", "....", "Elm", None]
+    diff = spark.createDataFrame([(n, "HIGH") for n in names] + [("Ledger", "LOW")], "display_name string, significance string")
+    texts = ["CopperTorch and torches", "biron swords", None, "more_ and more....", "a ledger by elm", None, "torc h"]
+    titles = [None, "x", "All about TORCHES", "t", None, None, "tor"]
+    docs = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(zip(texts, titles))], "doc_id int, text string, title string")
+    assert rows(diffing.patch_notes(diff, docs, block_chars=block_chars)) == [("....", 3, 1), ("iron sword", 1, 1), ("ore_", 3, 1), ("torch", 0, 1), ("torch", 2, 2)]
+    assert rows(diffing.patch_notes(diff.limit(0), docs, block_chars=block_chars)) == rows(diffing.patch_notes(diff, docs.limit(0))) == []
