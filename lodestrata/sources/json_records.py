@@ -24,8 +24,8 @@ def first_of(record: dict, *names: str):
     return None
 
 
-def text_of(record: dict, label: str, name: str, path: str, most: int = 40) -> str:
-    """What is embedded for a record: its label and name, its plain fields in the order they are written, keywords, its file.
+def text_of(record: dict, label: str, name: str, path: str) -> str:
+    """What is embedded for a record: its label and name, all its plain fields in the order they are written, keywords, its file.
 
     Lists of plain values are joined; one level of inner objects is told as
     ``outer.inner``; ids, names and types aren't told twice.
@@ -47,8 +47,6 @@ def text_of(record: dict, label: str, name: str, path: str, most: int = 40) -> s
                 lines.append(f"{key}: " + ", ".join(told))
         elif isinstance(value, dict):
             lines += [f"{key}.{k}: {_shown(v)}" for k, v in value.items() if plain(v)]
-        if len(lines) > most:
-            break
     tags = first_of(record, "Tags")
     words = [str(t) for t in tags] if isinstance(tags, list) else [str(x) for kv in tags.items() for x in (kv[1] if isinstance(kv[1], list) else [kv[1]])] if isinstance(tags, dict) else []
     if words:

@@ -135,3 +135,9 @@ def test_classes_and_translations_of_records(spark, rows):
     words = J.translations(langs)
     assert rows(words) == [("items.a.name", "Axe"), ("items.a.name2", "B")]
     assert {(r.id, r.shown) for r in J.translated(records, words, "name_key", "shown").collect()} == {("g:a", "Axe"), ("g:b", None), ("g:c", None)}
+
+
+def test_text_of_wide_records_is_whole():
+    record = {f"F{n}": n for n in range(60)} | {"Inner": {f"G{n}": n for n in range(60)}, "Last": "end"}
+    text = J.text_of(record, "Item", "Torch", "Server/Torch.json")
+    assert text.splitlines() == ["Item: Torch", *(f"F{n}: {n}" for n in range(60)), *(f"Inner.G{n}: {n}" for n in range(60)), "Last: end", "File: Server/Torch.json"]
