@@ -8,16 +8,20 @@ takes out the overlap, so nothing is repeated.
 ``IncrementalRun`` keeps the ledger on storage and survives failures: a run
 publishes its output and ledger under its own name and only then its marker;
 a run without marker never happened. ``deltas_of_runs`` replays a whole
-history of runs in one plan, for the audit of a ledger of deliveries.
+history of runs in one plan, by the same reread and the same anti-join with
+the ledger that each run found.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.paths import normal_hash, normal_path
-from lodestrata.session import plan_bytes
+from lodestrata.session import plan_bytes, staged
 
 BROADCAST_BYTES = 8 << 20
 
@@ -30,11 +34,15 @@ def ledger_rows(file_hashes: DataFrame, version_meta: DataFrame) -> DataFrame:
     (null is the oldest), then the greatest hash. Copies collapse before the
     shuffle, so a file that holds most of the rows is no hot key.
     """
+    return _usable(file_hashes, version_meta).groupBy("patchline", "corpus_type", "file_path", "batch_id").agg(F.max(F.struct("indexed_at", "file_hash")).alias("row")).select("patchline", "corpus_type", "file_path", "batch_id", "row.indexed_at", "row.file_hash")
+
+
+def _usable(file_hashes: DataFrame, version_meta: DataFrame) -> DataFrame:
+    """The deliveries' rows that count, with their patchline, path and hash in normal form."""
     slugs = version_meta.select("slug", "patchline").filter(F.col("slug").isNotNull()).distinct()
     slugs = F.broadcast(slugs) if plan_bytes(slugs) <= BROADCAST_BYTES else slugs
     rows = file_hashes.select("slug", "corpus_type", normal_path(F.col("file_path")).alias("file_path"), F.col("batch_id").cast("bigint").alias("batch_id"), "indexed_at", normal_hash(F.col("file_hash")).alias("file_hash"))
-    rows = rows.filter("file_path is not null and file_hash is not null and batch_id is not null").join(slugs, "slug")
-    return rows.groupBy("patchline", "corpus_type", "file_path", "batch_id").agg(F.max(F.struct("indexed_at", "file_hash")).alias("row")).select("patchline", "corpus_type", "file_path", "batch_id", "row.indexed_at", "row.file_hash")
+    return rows.filter("file_path is not null and file_hash is not null and batch_id is not null").join(slugs, "slug")
 
 
 def run_windows(index_runs: DataFrame) -> DataFrame:
@@ -49,15 +57,31 @@ def run_windows(index_runs: DataFrame) -> DataFrame:
     return good.select("patchline", "corpus_type", "run_id", before.alias("from_batch"), "through_batch")
 
 
+def reread_batches(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(patchline, corpus_type, batch_id, run_id, back): the batches that each run reads again.
+
+    A run begins at the oldest batch that was still open to the run before.
+    If it covers less than that one (``back``), the batches between are those
+    that it sees differently. Ranges are compared with the different batches
+    of a corpus, not with its files.
+    """
+    first = F.lit(-(2**63))
+    low = F.when(F.col("from_batch").isNull(), first).otherwise(F.least("from_batch", "through_batch"))
+    spans = windows.select("patchline", "corpus_type", "run_id", low.alias("low"), F.greatest("from_batch", "through_batch").alias("high"), F.coalesce(F.col("from_batch") > F.col("through_batch"), F.lit(False)).alias("back"))
+    batches = rows.select("patchline", "corpus_type", "batch_id").distinct()
+    return batches.join(spans, ["patchline", "corpus_type"]).filter("batch_id > low and batch_id <= high").select("patchline", "corpus_type", "batch_id", "run_id", "back")
+
+
 def deltas_of_runs(file_hashes: DataFrame, index_runs: DataFrame, version_meta: DataFrame) -> DataFrame:
     """(run_id, file_path, file_hash, change): what each successful run had to process.
 
-    The source is read once. A run rereads only the batches between its own
-    state and that of the run before; per file the version current after each
-    batch is a running maximum, and a (file, version) pair that the run before
-    had as current is the overlap that the ledger takes out. ``change`` is
-    ``new`` or ``changed``. If a run covers less than the one before, what it
-    sees differently comes out just so. Empty tables give no rows.
+    Each run rereads its batches; the pairs of file and version that are then
+    current are what it may have to process. Every pair goes to the ledger
+    under the next run that rereads the file, which is the run that finds it
+    there as the file's last processed version. An anti-join with the ledger
+    takes out the overlap. ``change`` is ``new`` if the ledger has no version
+    of the file, else ``changed``. If a run covers less than the one before,
+    what it sees differently comes out just so. Empty tables give no rows.
     """
     keys = ["patchline", "corpus_type", "file_path"]
     rows = ledger_rows(file_hashes, version_meta)
@@ -65,19 +89,19 @@ def deltas_of_runs(file_hashes: DataFrame, index_runs: DataFrame, version_meta:
     state = F.struct("indexed_at", "batch_id", "file_hash")
     upto = F.max(state).over(by_batch.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     earlier = F.max(state).over(by_batch.rowsBetween(Window.unboundedPreceding, -1))
-    states = rows.select(*keys, "batch_id", upto.alias("after"), earlier.alias("before"))
+    states = rows.select(*keys, "batch_id", upto.getField("file_hash").alias("after"), earlier.getField("file_hash").alias("before"))
 
-    windows = run_windows(index_runs)
-    windows = F.broadcast(windows) if plan_bytes(index_runs) <= BROADCAST_BYTES else windows
-    low = F.coalesce(F.least("from_batch", "through_batch"), F.lit(-(2**63)))
-    high = F.coalesce(F.greatest("from_batch", "through_batch"), F.col("through_batch"))
-    windows = windows.withColumns({"low": F.when(F.col("from_batch").isNull(), F.lit(-(2**63))).otherwise(low), "high": high, "back": F.coalesce(F.col("from_batch") > F.col("through_batch"), F.lit(False))})
-    w, s = windows.alias("w"), states.alias("s")
-    touched = s.join(w, (F.col("s.patchline") == F.col("w.patchline")) & (F.col("s.corpus_type") == F.col("w.corpus_type")) & (F.col("s.batch_id") > F.col("w.low")) & (F.col("s.batch_id") <= F.col("w.high")))
-    ends = touched.groupBy("s.patchline", "s.corpus_type", "s.file_path", "w.run_id").agg(F.min_by("s.before", "s.batch_id").alias("first"), F.max_by("s.after", "s.batch_id").alias("last"), F.first("w.back").alias("back"))
-    now, then = F.when(F.col("back"), F.col("first")).otherwise(F.col("last")), F.when(F.col("back"), F.col("last")).otherwise(F.col("first"))
-    both = ends.select("run_id", "file_path", now.getField("file_hash").alias("file_hash"), then.getField("file_hash").alias("old_hash"))
-    return both.filter(F.col("file_hash").isNotNull() & ~F.col("file_hash").eqNullSafe(F.col("old_hash"))).select("run_id", "file_path", "file_hash", F.when(F.col("old_hash").isNull(), "new").otherwise("changed").alias("change"))
+    reread = staged(reread_batches(_usable(file_hashes, version_meta), run_windows(index_runs)))
+    reread = F.broadcast(reread) if plan_bytes(reread) <= BROADCAST_BYTES else reread
+    touched = states.join(reread, ["patchline", "corpus_type", "batch_id"])
+    current = F.when(F.first("back"), F.min_by("before", "batch_id")).otherwise(F.max_by("after", "batch_id"))
+    pairs = touched.groupBy(*keys, "run_id").agg(current.alias("file_hash"))
+
+    by_run = Window.partitionBy(*keys).orderBy("run_id")
+    processed = pairs.withColumns({"found_by": F.lead("run_id").over(by_run), "known": F.lag("file_hash").over(by_run).isNotNull()})
+    ledger = processed.filter("found_by is not null and file_hash is not null").select(*keys, F.col("found_by").alias("run_id"), "file_hash")
+    fresh = processed.filter("file_hash is not null").join(ledger, [*keys, "run_id", "file_hash"], "left_anti")
+    return fresh.select("run_id", "file_path", "file_hash", F.when(F.col("known"), "changed").otherwise("new").alias("change"))
 
 
 def found_deltas(file_hashes: DataFrame, index_runs: DataFrame, version_meta: DataFrame) -> DataFrame:
@@ -88,13 +112,18 @@ def found_deltas(file_hashes: DataFrame, index_runs: DataFrame, version_meta: Da
 class IncrementalRun:
     """A source read in runs, exactly once, with its ledger on shared storage.
 
-    ``root`` holds ``ledger/run=<n>`` (key, version), ``output/run=<n>`` and,
-    written last, ``done/run=<n>`` with the run's position: the greatest
+    ``root`` holds ``ledger/run=<n>`` (key, version, position), ``output/run=<n>``
+    and, written last, ``done/run=<n>`` with the run's position: the greatest
     transaction that had ended when the run began. A failed run leaves no
     marker; its folders are overwritten by the next attempt at that number.
-    Null keys or versions are taken as values of their own; of several rows of
-    one key and version within a run one is delivered; a key whose version
-    returns to an earlier one counts as changed against its last version.
+
+    A row comes out if the ledger hasn't its key, version and position, if it
+    isn't older than what the ledger has of its key, and if it is another
+    version than the last one (so a return to an earlier version counts, an
+    older state that arrives late doesn't). Null keys, versions and positions
+    are values of their own, a null position being the oldest. Of several rows
+    of one key that are due, the greatest position holds, then the greatest
+    version.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], version: str, position: str) -> None:
@@ -112,31 +141,46 @@ class IncrementalRun:
         return sorted((r["run"], r["open_from"]) for r in rows)
 
     def pending(self, source: DataFrame) -> DataFrame:
-        """The rows to process now: reread from the oldest open transaction, without pairs in the ledger."""
-        runs = self.done()
-        reread = source if not runs else source.filter(F.col(self.position).isNull() | (F.col(self.position) >= runs[-1][1]))
-        newest = Window.partitionBy(*self.keys).orderBy(F.col(self.position).desc_nulls_last(), F.col(self.version).desc_nulls_last())
-        reread = reread.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
-        if not runs:
-            return reread
-        return reread.join(self.current_ledger().alias("l"), self._same("l"), "left_anti")
-
-    def _same(self, side: str) -> Column:
-        pairs = [F.col(c).eqNullSafe(F.col(f"{side}.__l_{c}")) for c in [*self.keys, self.version]]
-        out = pairs[0]
-        for p in pairs[1:]:
-            out = out & p
-        return out
+        """The rows to process now: reread from the oldest open transaction, without what is in the ledger."""
+        return self._decided(source).filter("__due").select(*source.columns)
 
-    def current_ledger(self) -> DataFrame:
-        """Each key's last processed version: the newest whole state (see ``compact``) and the runs after it."""
+    def _decided(self, source: DataFrame) -> DataFrame:
+        """The reread rows of each key's newest position that the ledger hasn't, with ``__current`` for the one that holds and ``__due`` if it is to be processed."""
+        runs = self.done()
+        columns = [*self.keys, self.version, self.position]
+        fresh = source if not runs else source.filter(F.col(self.position).isNull() | (F.col(self.position) >= runs[-1][1]))
+        fresh = fresh.withColumn("__copy", F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))).filter("__copy = 1").drop("__copy")
+        last = F.lit(None).cast(T.StructType([T.StructField("p", source.schema[self.position].dataType), T.StructField("v", source.schema[self.version].dataType)]))
+        if runs:
+            ledger = self.history()
+            fresh = fresh.join(ledger.alias("l"), self._same("l", columns), "left_anti")
+            fresh = fresh.join(self.current_ledger().withColumn("__last", F.struct(F.col(f"__l_{self.position}").alias("p"), F.col(f"__l_{self.version}").alias("v"))).alias("c"), self._same("c", self.keys), "left").select(*source.columns, "__last")
+        else:
+            fresh = fresh.withColumn("__last", last)
+        at, was = F.struct(F.col(self.position).alias("p")), F.struct(F.col("__last.p").alias("p"))
+        fresh = fresh.filter(F.col("__last").isNull() | (at >= was))
+        by = Window.partitionBy(*self.keys).orderBy(F.col(self.position).desc_nulls_last(), F.col(self.version).desc_nulls_last())
+        newest = F.first(self.position).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        ranked = fresh.withColumns({"__current": F.row_number().over(by) == 1, "__newest": newest}).filter(F.col(self.position).eqNullSafe(F.col("__newest")))
+        due = F.col("__last").isNull() | ~F.col(self.version).eqNullSafe(F.col("__last.v"))
+        return ranked.withColumn("__due", F.col("__current") & due).drop("__last", "__newest")
+
+    def _same(self, side: str, columns: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{side}.__l_{c}")) for c in columns))
+
+    def history(self) -> DataFrame:
+        """What the ledger has: the newest whole state (see ``compact``) and the parts of the runs after it."""
         runs = [n for n, _ in self.done()]
         whole = [n for n in self._compacted() if n in runs]
         base = whole[-1] if whole else 0
         paths = ([f"{self.root}/whole/upto={base}"] if base else []) + [f"{self.root}/ledger/run={n}" for n in runs if n > base]
-        rows = self.spark.read.parquet(*paths)
-        last = rows.groupBy(*(f"__l_{k}" for k in self.keys)).agg(F.max_by(F.struct(f"__l_{self.version}"), "__run").alias("v"), F.max("__run").alias("__run"))
-        return last.select(*(f"__l_{k}" for k in self.keys), F.col("v").getField(f"__l_{self.version}").alias(f"__l_{self.version}"), "__run")
+        return self.spark.read.parquet(*paths)
+
+    def current_ledger(self) -> DataFrame:
+        """Each key's last processed version and its position."""
+        place = [f"__l_{self.position}", "__run", "__current", f"__l_{self.version}"]
+        last = self.history().groupBy(*(f"__l_{k}" for k in self.keys)).agg(F.max(F.struct(*place)).alias("r"))
+        return last.select(*(f"__l_{k}" for k in self.keys), *(F.col("r").getField(c).alias(c) for c in place))
 
     def _compacted(self) -> list[int]:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/whole")
@@ -148,17 +192,19 @@ class IncrementalRun:
         return sorted(int(p.getName().split("=")[1]) for p in ready)
 
     def compact(self) -> None:
-        """The ledger's parts as one whole state, so that a run reads one part a key, not one a run. A state without its mark of success isn't used."""
+        """The ledger's parts as one whole state, so that a run reads a key's newest position, not a part a run. A state without its mark of success isn't used."""
         runs = self.done()
         if runs and runs[-1][0] not in self._compacted():
-            self.current_ledger().write.mode("overwrite").parquet(f"{self.root}/whole/upto={runs[-1][0]}")
+            rows, last = self.history().alias("h"), self.current_ledger().alias("l")
+            same = reduce(lambda a, b: a & b, (F.col(f"h.__l_{c}").eqNullSafe(F.col(f"l.__l_{c}")) for c in [*self.keys, self.position]))
+            rows.join(last, same, "left_semi").write.mode("overwrite").parquet(f"{self.root}/whole/upto={runs[-1][0]}")
 
     def run(self, source: DataFrame, open_from: int) -> DataFrame:
         """Process what is pending; ``open_from`` is the oldest transaction still open now. Returns the run's output."""
         n = (self.done() or [(0, 0)])[-1][0] + 1
         out = f"{self.root}/output/run={n}"
-        self.pending(source).write.mode("overwrite").parquet(out)
-        made = self.spark.read.parquet(out)
-        made.select(*(F.col(c).alias(f"__l_{c}") for c in [*self.keys, self.version]), F.lit(n).alias("__run")).write.mode("overwrite").parquet(f"{self.root}/ledger/run={n}")
+        decided = staged(self._decided(source))
+        decided.filter("__due").select(*source.columns).write.mode("overwrite").parquet(out)
+        decided.select(*(F.col(c).alias(f"__l_{c}") for c in [*self.keys, self.version, self.position]), "__current", F.lit(n).alias("__run")).write.mode("overwrite").parquet(f"{self.root}/ledger/run={n}")
         self.spark.createDataFrame([(n, open_from)], "run bigint, open_from bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/done/run={n}")
-        return made
+        return self.spark.read.schema(source.schema).parquet(out)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import catalog
 from lodestrata.operators.incremental import IncrementalRun
+from lodestrata.session import remove, staged
 
 LAYOUT = ("slug", "corpus")
 
@@ -22,15 +24,27 @@ def write_nodes(nodes: DataFrame, root: str) -> None:
 def apply_delta(spark: SparkSession, root: str, delta: DataFrame, deleted: DataFrame, keys: tuple[str, ...] = ("slug", "corpus", "id")) -> None:
     """``delta`` put in place of the stored rows of its keys, rows of ``deleted`` owners taken out; only touched partitions are rewritten.
 
-    The new state is written beside the old before it takes its place.
+    The new state is written beside the old before it takes its place. A
+    partition that has come out empty goes.
     """
-    from lodestrata.session import staged
-
     stored = spark.read.parquet(f"{root}/nodes")
-    touched = delta.select(*LAYOUT).unionByName(deleted.select(*LAYOUT)).distinct()
-    mine = stored.join(F.broadcast(touched), list(LAYOUT), "left_semi")
+    touched = staged(delta.select(*LAYOUT).unionByName(deleted.select(*LAYOUT)).distinct())
+    mine = stored.alias("s").join(touched.alias("t"), reduce(lambda a, b: a & b, (F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in LAYOUT)), "left_semi")
     kept = catalog.delete_by_key(mine, deleted, [*LAYOUT, "owning_file"])
-    write_nodes(staged(catalog.upsert(kept.select(*delta.columns), delta, list(keys))), root)
+    made = staged(catalog.upsert(kept.select(*delta.columns), delta, list(keys)))
+    write_nodes(made, root)
+    drop_partitions(spark, f"{root}/nodes", touched.subtract(made.select(*LAYOUT).distinct()))
+
+
+def drop_partitions(spark: SparkSession, path: str, gone: DataFrame) -> None:
+    """Delete the folders of partitions, which the columns of ``gone`` name in the order of the layout.
+
+    A row a partition, so as many as there are folders, come to the driver.
+    """
+    jvm = spark._jvm
+    for row in gone.collect():
+        parts = [jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(c, row[c]) for c in gone.columns]
+        remove(spark, "/".join([path, *parts]))
 
 
 def index_corpora(indexers: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame | Exception]:

@@ -76,3 +76,45 @@ def test_a_failed_run_never_happened(spark, rows, tmp_path):
     assert rows(run.run(data, open_from=2)) == [("a", "1", 1)]
     assert run.done() == [(1, 2)]
     assert run.current_ledger().filter(F.col("__l_k") == "a").count() == 1
+
+
+def test_rereads_neither_repeat_older_versions_nor_null_positions(spark, rows, tmp_path):
+    run = I.IncrementalRun(spark, str(tmp_path), ["k"], "v", "tx")
+    assert rows(run.run(source(spark, [("a", "v0", None)]), open_from=1)) == [("a", "v0", None)]
+    both = source(spark, [("a", "v0", None), ("a", "v1", 5)])
+    assert rows(run.run(both, open_from=1)) == [("a", "v1", 5)]
+    assert rows(run.run(both, open_from=10)) == [] and rows(run.run(both, open_from=0)) == []
+    run.compact()
+    assert rows(run.pending(both)) == []
+    # without any position each version comes once
+    loose = I.IncrementalRun(spark, f"{tmp_path}/loose", ["k"], "v", "tx")
+    assert rows(loose.run(source(spark, [("a", "z", None)]), open_from=0)) == [("a", "z", None)]
+    more = source(spark, [("a", "z", None), ("a", "b", None)])
+    assert rows(loose.run(more, open_from=0)) == [("a", "b", None)] and rows(loose.run(more, open_from=0)) == []
+
+
+def test_late_batches_with_an_older_state_are_no_change(spark, rows, tmp_path):
+    run = I.IncrementalRun(spark, str(tmp_path), ["k"], "v", "tx")
+    assert rows(run.run(source(spark, [("a", "v1", 6)]), 0)) == [("a", "v1", 6)]
+    assert rows(run.run(source(spark, [("a", "v0", 3)]), 0)) == []
+    assert rows(run.run(source(spark, [("a", "v1", 9)]), 0)) == []  # the same version, seen later
+    assert rows(run.run(source(spark, [("a", "v0", 7)]), 0)) == []  # older than what was seen
+    assert rows(run.run(source(spark, [("a", "v0", 10)]), 0)) == [("a", "v0", 10)]
+
+
+def test_deltas_agree_with_a_replay_run_by_run(spark, rows):
+    import random
+
+    rng = random.Random(7)
+    files = [("s1", f"f{rng.randrange(6)}", f"h{rng.randrange(3)}", "code", t(rng.randrange(1, 9)), rng.randrange(1, 9), "x") for _ in range(80)]
+    through = [2, 2, 5, 3, 7, 8]
+    want, before = [], {}
+    for n, b in enumerate(through):
+        seen = {}
+        for _, path, h, _, at, batch, _ in files:
+            if batch <= b:
+                seen[path] = max(seen.get(path, ()), (at, batch, h))
+        now = {k: v[2] for k, v in seen.items()}
+        want += [(n, k) for k, h in now.items() if before.get(k) != h]
+        before = now
+    assert rows(I.found_deltas(*make(spark, files, [(n, "release", "code", b, "success") for n, b in enumerate(through)]))) == sorted(want)
